@@ -33,11 +33,16 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3.  Of each group of near copies the document of least doc_id stays."""
-    printed = stage(simhash.with_fingerprint(docs.select("doc_id", "text")).drop("text"), "printed")
+    # a row's key: its id, a null standing apart, and its text
+    key = {"__k": F.coalesce(F.hex("doc_id"), F.lit("-")), "__t": F.xxhash64("text")}
+    keyed = docs.withColumns(key)
+    printed = stage(simhash.with_fingerprint(keyed.select("doc_id", "__k", "__t", "text")).drop("text"), "printed")
     grouped = simhash.near_duplicates(printed)
-    # rows without an id belong to a group only if it has no other member
-    staying = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(staying, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    # a group of rows without an id has its fingerprint for a name
+    group = F.coalesce(F.hex("component_id"), F.concat(F.lit("-"), F.hex("__fp")))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "__k", "__t")).alias("first")
+    staying = grouped.groupBy(group.alias("g")).agg(first).select("first.__k", "first.__t")
+    return keyed.join(staying, ["__k", "__t"], "left_semi").dropDuplicates(["__k", "__t"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
