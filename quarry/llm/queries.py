@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, lines, mixing, packing, quality, simhash, tokens, urls
+from quarry.llm import language, lines, mixing, packing, quality, search, simhash, tokens, urls
 from quarry.sources.tables import table
 from quarry.staging import stage
 
 TOKEN_LIMIT = 4096
+TOP_K, QUERY_IDS = 10, 20
 PIECE_MODEL, WORD_MODEL = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
@@ -36,6 +37,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(printed).select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by ``QUERY_IDS``, as a query of its whole text, against all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return search.top_k(docs, docs.where(F.col("doc_id") % QUERY_IDS == 0), TOP_K)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     sized = stage(mixing.size_documents(docs).drop("text"), "sized")
@@ -65,4 +72,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op4_search, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_quality)}
