@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import language, lines, mixing, packing, quality, search, simhash, tokens, urls
+from quarry.llm import language, lines, mixing, packing, passages, quality, search, simhash, tokens, urls
 from quarry.sources.tables import table
 from quarry.staging import stage
 
@@ -43,6 +43,10 @@ def op4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(docs, docs.where(F.col("doc_id") % QUERY_IDS == 0), TOP_K)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     sized = stage(mixing.size_documents(docs).drop("text"), "sized")
@@ -72,4 +76,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op4_search, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_packing, op3_simhash, op4_search, op5_passages, op6_mixing, op7_url_filter, op8_line_dedup, op9_language, op10_quality)}
