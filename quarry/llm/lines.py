@@ -15,62 +15,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.staging import stage
+
 #: One line in so many ends a chunk.
 MEAN_LINES = 3
 MIN_LINES = 2
 
-def _chunked(docs: DataFrame, text: str, mean_lines: int) -> DataFrame:
-    """``docs`` with the document's key, ``__lines`` and ``__ends``, the number of the last line of each chunk."""
+def _with_key(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     body = F.col(f"`{text}`")
-    keyed = docs.withColumns({"__h1": F.xxhash64(body), "__h2": F.xxhash64(body, F.lit(1))})
-    keyed = keyed.withColumn("__lines", F.split(F.coalesce(body, F.lit("")), "\n", -1))
-    keyed = keyed.withColumn("__hashes", F.transform("__lines", lambda line: F.xxhash64(line)))
-    ends = f"""filter(sequence(1, size(__lines)), i -> i = size(__lines) or
+    return docs.withColumns({"__id": F.col(f"`{doc_id}`"), "__h1": F.xxhash64(body), "__h2": F.xxhash64(body, F.lit(1))})
+
+
+def _with_ends(docs: DataFrame, text: str, mean_lines: int) -> DataFrame:
+    """``docs`` with ``__hashes`` of the lines and ``__ends``, the number of the last line of each chunk."""
+    hashes = F.transform(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1), lambda line: F.xxhash64(line))
+    ends = f"""filter(sequence(1, size(__hashes)), i -> i = size(__hashes) or
         pmod(xxhash64(__hashes[i - 1], if(i > 1, __hashes[i - 2], 0)), {mean_lines}) = 0)"""
-    return keyed.withColumn("__ends", F.expr(ends)).drop("__hashes")
+    return docs.withColumn("__hashes", hashes).withColumn("__ends", F.expr(ends))
 
 
-def _chunks() -> Column:
-    """Array of (no, lines, text) of a document's chunks."""
-    return F.expr("""transform(__ends, (e, k) -> named_struct('no', k, 'lines', e - if(k = 0, 0, __ends[k - 1]),
-        'text', array_join(slice(__lines, if(k = 0, 0, __ends[k - 1]) + 1, e - if(k = 0, 0, __ends[k - 1])), '\n')))""")
+def _exploded(docs: DataFrame, chunk: str, name: str, *keep: str) -> DataFrame:
+    """A row for each chunk; ``chunk`` is an expression of its number k, first line and lines.
+
+    No array of chunks is empty, so the outer form is the same; unlike the inner one it isn't evaluated
+    twice, once to filter empty arrays.
+    """
+    chunks = f"transform(__ends, (e, k) -> transform(array(struct(k as no, if(k = 0, 1, __ends[k - 1] + 1) as first)), x -> {chunk})[0])"
+    return docs.select(*keep, F.explode_outer(F.expr(chunks)).alias(name))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mean_lines: int = MEAN_LINES, min_lines: int = MIN_LINES) -> DataFrame:
-    """``docs`` with repeated chunks cut out of ``text``, n_chunks, removed_chunks and removed_lines."""
+    """``docs`` with repeated chunks cut out of ``text``, n_chunks, removed_chunks and removed_lines.
+
+    Texts are shuffled once, to meet what is known of their chunks; after that only those of documents
+    with a chunk of a repeated hash move again.
+    """
     own = ("n_chunks", "removed_chunks", "removed_lines")
     columns = [c for c in docs.columns if c not in own]
-    base = docs.select(*[F.col(f"`{c}`") for c in columns])
-    chunked = _chunked(base.withColumn("__id", F.col(f"`{doc_id}`")), text, mean_lines)
-    key = [F.col("__id"), F.col("__h1"), F.col("__h2")]
-
-    # 1. which hashes occur more than once: only hashes are shuffled
-    hashed = F.expr("transform(filter(__chunks, c -> c.lines >= %d), c -> named_struct('no', c.no, 'h', xxhash64(c.text), 'n', length(c.text)))" % min_lines)
-    light = chunked.where(F.size("__ends") < F.size("__lines")).withColumn("__chunks", _chunks()).select(*key, F.explode(hashed).alias("__c"))
-    light = light.select(*key, "__c.no", "__c.h", "__c.n")
-    again = light.groupBy("h", "n").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("h", "n")
-    suspects = light.join(again, ["h", "n"]).groupBy(*key).agg(F.collect_set("no").alias("__nos"))  # of one document: bounded by it
-
-    # 2. their bytes
-    chunks = chunked.withColumn("__chunks", _chunks())
-    same_doc = ["__id", "__h1", "__h2"]
-    theirs = _join_docs(chunks.select(*key, "__chunks"), suspects, same_doc, "inner").select(*key, F.explode(F.expr("filter(__chunks, c -> array_contains(__nos, c.no))")).alias("__c"))
-    theirs = theirs.select(F.struct(*key, F.col("__c.no").alias("no")).alias("__at"), F.col("__c.text").alias("__t"), F.xxhash64("__c.text").alias("__h"))
+    keyed = _with_key(docs.select(*[F.col(f"`{c}`") for c in columns]), text, doc_id)
+    key = ["__id", "__h1", "__h2"]
+
+    # 1. chunks by hash, without their texts
+    lean = _with_ends(keyed.select(*key, F.col(f"`{text}`")), text, mean_lines)
+    hashed = "named_struct('no', x.no, 'lines', e - x.first + 1, 'h', xxhash64(slice(__hashes, x.first, e - x.first + 1)))"
+    chunks = stage(_exploded(lean, hashed, "__c", *key).select(*key, "__c.no", "__c.lines", "__c.h"), "chunks")
+
+    # 2. the chunks of each document whose hash occurs again: numbers, bounded by the document
+    again = chunks.where(F.col("lines") >= min_lines).groupBy("h", "lines").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    again = again.select(F.col("h").alias("__h"), F.col("lines").alias("__l"))
+    suspect = chunks.join(again, (F.col("h") == F.col("__h")) & (F.col("lines") == F.col("__l")), "left")
+    known = suspect.groupBy(*key).agg((F.max("no") + 1).alias("__chunks"), F.collect_set(F.when(F.col("__h").isNotNull(), F.col("no"))).alias("__nos"))
+    marked = stage(_join_docs(keyed, known, key, "left"), "marked")
+
+    # 3. the bytes of those chunks
+    suspects = marked.where(F.size("__nos") > 0)
+    cut_up = suspects.withColumn("__lines", F.split(f"`{text}`", "\n", -1))
+    cut_up = _with_ends(cut_up, text, mean_lines)
+    bytes_of = "if(array_contains(__nos, x.no), named_struct('no', x.no, 't', array_join(slice(__lines, x.first, e - x.first + 1), '\n')), null)"
+    theirs = _exploded(cut_up, bytes_of, "__c", *key, "__nos", "__lines").where("__c is not null")
+    theirs = theirs.select(F.struct(*key, F.col("__c.no").alias("no")).alias("__at"), F.col("__c.t").alias("__t"), F.xxhash64("__c.t").alias("__h"))
     first = theirs.groupBy("__h", "__t").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     gone = theirs.join(first, ["__h", "__t"]).where("not (__at <=> __first)")
     gone = gone.groupBy("__at.__id", "__at.__h1", "__at.__h2").agg(F.collect_set("__at.no").alias("__gone"))
 
-    # 3. the rest of each document
-    out = _join_docs(chunks, gone, same_doc, "left")
-    out = out.withColumn("__gone", F.coalesce("__gone", F.expr("cast(array() as array<int>)")))
-    kept = F.expr("array_join(transform(filter(__chunks, c -> not array_contains(__gone, c.no)), c -> c.text), '\n')")
+    # 4. what is left of the documents
+    out = _join_docs(suspects, gone, key, "left").withColumn("__gone", F.coalesce("__gone", F.expr("cast(array() as array<int>)")))
+    out = _with_ends(out.withColumn("__lines", F.split(f"`{text}`", "\n", -1)), text, mean_lines)
+    stays = "filter(transform(__ends, (e, k) -> named_struct('no', k, 'first', if(k = 0, 1, __ends[k - 1] + 1), 'last', e)), x -> not array_contains(__gone, x.no))"
+    out = out.withColumn("__stays", F.expr(stays))
+    kept = F.expr("array_join(transform(__stays, x -> array_join(slice(__lines, x.first, x.last - x.first + 1), '\n')), '\n')")
     cut = F.when(F.size("__gone") > 0, kept).otherwise(F.col(f"`{text}`"))
-    figures = {
-        "n_chunks": F.size("__chunks").cast("bigint"),
-        "removed_chunks": F.size("__gone").cast("bigint"),
-        "removed_lines": F.expr("aggregate(filter(__chunks, c -> array_contains(__gone, c.no)), 0L, (s, c) -> s + c.lines)"),
-    }
-    return out.select(*[cut.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *[v.alias(k) for k, v in figures.items()])
+    lost = F.expr("cast(size(__lines) - aggregate(__stays, 0, (s, x) -> s + x.last - x.first + 1) as bigint)")
+
+    def shaped(rows: DataFrame, body: Column, removed_chunks: Column, removed_lines: Column) -> DataFrame:
+        figures = (F.col("__chunks").cast("bigint").alias("n_chunks"), removed_chunks.cast("bigint").alias("removed_chunks"), removed_lines.alias("removed_lines"))
+        return rows.select(*[body.alias(c) if c == text else F.col(f"`{c}`") for c in columns], *figures)
+
+    none = F.lit(0).cast("bigint")
+    untouched = marked.where("coalesce(size(__nos), 0) <= 0")
+    return shaped(untouched, F.col(f"`{text}`"), none, none).union(shaped(out, cut, F.size("__gone"), lost))
 
 
 def _join_docs(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
