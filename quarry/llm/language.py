@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 #: N-grams in a profile and in a document's list, at most.
 TOP = 300
 UNKNOWN = "und"
+#: Texts whose n-grams are counted at a time.
+SLICE = 500
 _GAP = 32  # stands for everything that is not a letter
 
 _letters: np.ndarray | None = None
@@ -57,11 +59,17 @@ def train_profiles(labelled: DataFrame, top: int = TOP) -> dict[str, list[int]]:
 
     def count(batches):
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), dtype=object)
-            texts = batch.column(1).to_pylist()
-            for lang in sorted(set(langs)):
-                codes = [gram_codes(texts[i]) for i in np.flatnonzero(langs == lang)]
-                distinct, counts = np.unique(np.concatenate(codes), return_counts=True)
+            parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+            for at in range(0, batch.num_rows, SLICE):  # the codes of a slice are held at a time
+                part = batch.slice(at, SLICE)
+                langs = np.array(part.column(0).to_pylist(), dtype=object)
+                texts = part.column(1).to_pylist()
+                for lang in sorted(set(langs)):
+                    codes = [gram_codes(texts[i]) for i in np.flatnonzero(langs == lang)]
+                    parts.setdefault(lang, []).append(np.unique(np.concatenate(codes), return_counts=True))
+            for lang, counted in parts.items():
+                distinct, at = np.unique(np.concatenate([c for c, _ in counted]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([n for _, n in counted]), minlength=len(distinct)).astype(np.int64)
                 yield pa.record_batch([pa.array([lang] * len(distinct)), pa.array(distinct), pa.array(counts)], names=["lang", "code", "n"])
 
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
