@@ -25,6 +25,16 @@ MAX_EPOCHS = 2
 BITS, LEVELS = 12, 5
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``__place``, the number from 0 of each source in order: by ranges, so that no task orders them all."""
+    ranged = stage(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("__part", F.spark_partition_id()), "mix-ranges")
+    counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each range
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(F.col("source").asc_nulls_last())) - 1
+    offsets = counts.select(F.col("__part").alias("__p"), before.alias("__before"))
+    return ranged.join(offsets, F.col("__part") == F.col("__p")).withColumn("__place", within + F.col("__before")).drop("__part", "__p", "__before")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = TOTAL_SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """Target of each source from ``sizes`` (source, source_size: one row for each source).
 
@@ -32,8 +42,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total
     target stops at ``max_epochs`` times its source's size and the excess is shared again by weight.
     So a target is min(cap, level * weight), and each round finds the level left by the sources at their cap.
     """
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1  # one row for each source
-    weighed = sizes.withColumn("__weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(place, F.lit(len(weights))) + 1).cast("int")))
+    weighed = _numbered(sizes).withColumn("__weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod("__place", F.lit(len(weights))) + 1).cast("int"))).drop("__place")
     weighed = stage(weighed.withColumn("__cap", F.col("source_size") * F.lit(float(max_epochs))), "mix-sources")
     level, capped = 0.0, -1
     while True:
@@ -103,9 +112,9 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: flo
     """What ``size_documents`` returned, with source_size, target and copies: how often the mix takes each document."""
     light = stage(sized.select("source", "size", "__hash"), "mix-sizes")
     sources = source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total_share, max_epochs)
-    cuts = _thresholds(light, sources).withColumnRenamed("source", "__source")
-    out = sized.join(cuts, F.col("source").eqNullSafe(F.col("__source")), "left")
-    copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("__hash") < F.col("below")).cast("bigint")).otherwise(F.lit(0)).cast("bigint")
+    cuts = _thresholds(light, sources).withColumnsRenamed({"source": "__source", "passes": "__passes", "below": "__below"})
+    out = sized.drop("source_size", "target").join(cuts, F.col("source").eqNullSafe(F.col("__source")), "left")
+    copies = F.when(F.col("size") > 0, F.col("__passes") + (F.col("__hash") < F.col("__below")).cast("bigint")).otherwise(F.lit(0)).cast("bigint")
     copies = F.least(copies, F.lit(max_epochs).cast("bigint"))
-    keep = [F.col(f"`{c}`") for c in sized.columns if c not in ("size", "__hash")]
+    keep = [F.col(f"`{c}`") for c in sized.columns if c not in ("size", "__hash", "source_size", "target", "copies")]
     return out.select(*keep, "size", "source_size", "target", copies.alias("copies"))

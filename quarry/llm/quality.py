@@ -136,6 +136,7 @@ def host_verdicts(ruled: DataFrame, max_rate: float = MAX_HOST_RATE, host: str =
 
 def apply_verdicts(ruled: DataFrame, max_rate: float = MAX_HOST_RATE, host: str = "source") -> DataFrame:
     """``ruled`` (from ``base_rules``, staged, as it is read twice) with the host's figures and kept."""
+    ruled = ruled.drop("host_docs", "host_failures", "host_rate", "host_ok", "kept")
     verdicts = host_verdicts(ruled, max_rate, host)
     joined = ruled.join(verdicts, F.col(f"`{host}`").eqNullSafe(F.col("__host")), "left").drop("__host")
     return joined.withColumn("kept", ~F.col("base_failed") & F.col("host_ok"))

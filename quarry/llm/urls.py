@@ -68,7 +68,7 @@ def train(labelled: DataFrame, features: int = FEATURES):
     if len(classes) < 2:
         return classes[0] if classes else 0.0
     hashed = HashingTF(inputCol="__grams", outputCol="__features", numFeatures=features, binary=True).transform(with_grams(labelled))
-    return LogisticRegression(featuresCol="__features", labelCol="label", regParam=1e-3, maxIter=60, aggregationDepth=2).fit(hashed.select("label", "__features"))
+    return LogisticRegression(featuresCol="__features", labelCol="label", rawPredictionCol="__raw", probabilityCol="__probability", predictionCol="__prediction", regParam=1e-3, maxIter=60, aggregationDepth=2).fit(hashed.select("label", "__features"))
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, max_labelled: int = MAX_LABELLED, url: str = "url") -> DataFrame:
@@ -91,6 +91,6 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, max_
         scored = marked.withColumn("block_probability", F.lit(model))
     else:
         hashed = HashingTF(inputCol="__grams", outputCol="__features", numFeatures=FEATURES, binary=True).transform(with_grams(marked))
-        scored = model.transform(hashed).withColumn("block_probability", vector_to_array("probability")[1])
+        scored = model.transform(hashed).withColumn("block_probability", vector_to_array("__probability")[1])
     verdict = F.coalesce(F.col("__by_rule"), F.when(F.col("block_probability") > 0.5, F.lit("block")).otherwise(F.lit("allow")))
     return scored.withColumn("verdict", verdict).select(*[F.col(f"`{c}`") for c in kept.columns], *own)
