@@ -70,7 +70,7 @@ def train_profiles(labelled: DataFrame, top: int = TOP) -> dict[str, list[int]]:
             for lang, counted in parts.items():
                 distinct, at = np.unique(np.concatenate([c for c, _ in counted]), return_inverse=True)
                 counts = np.bincount(at, weights=np.concatenate([n for _, n in counted]), minlength=len(distinct)).astype(np.int64)
-                yield pa.record_batch([pa.array([lang] * len(distinct)), pa.array(distinct), pa.array(counts)], names=["lang", "code", "n"])
+                yield pa.record_batch([pa.array([lang] * len(distinct), type=pa.string()), pa.array(distinct, type=pa.int64()), pa.array(counts)], names=["lang", "code", "n"])
 
     rows = labelled.where("lang is not null and text is not null").select(F.col("lang").cast("string"), F.col("text").cast("string"))
     counts = rows.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))

@@ -1,0 +1,39 @@
+import random
+
+from quarry.llm import lines, queries
+from tests.llm import brute
+
+
+def check(rows, docs):
+    want = brute.dedup_lines([(i, t) for i, t in docs])
+    assert len(rows) == len(docs)
+    left = sorted((tuple(want[d]) for d in docs), key=repr)
+    assert sorted(((r["text"], r["n_chunks"], r["removed_chunks"], r["removed_lines"]) for r in rows), key=repr) == left
+
+
+def test_query(spark, sf_dir, documents):
+    rows = queries.op8_line_dedup(spark, sf_dir).collect()
+    check(rows, [(r["doc_id"], r["text"]) for r in documents.collect()])
+    assert sum(r["removed_chunks"] for r in rows) > 0
+
+
+def test_awkward(awkward, no_docs):
+    docs = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    rows = lines.dedup_lines(awkward).collect()
+    check(rows, docs)
+    assert all(r["no"] == r["e"] == r["h"] == "other" for r in rows)
+    assert lines.dedup_lines(no_docs).count() == 0
+
+
+def test_blocks_met_in_other_places_go(spark):
+    draw = random.Random(2)
+    block = [f"boilerplate line {i} {draw.random()}" for i in range(30)]
+    docs = [(i, "\n".join([f"own {i} {k} {draw.random()}" for k in range(i % 5 + 1)] + block + [f"tail {draw.random()}"])) for i in range(40)]
+    rows = lines.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    check(rows, docs)
+    assert all(r["removed_lines"] > 15 for r in rows if r["doc_id"] > 0)
+
+
+def test_no_python_in_the_plan(spark, documents):
+    plan = lines.dedup_lines(documents)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

@@ -1,0 +1,61 @@
+import random
+import re
+
+from quarry.llm import queries, urls
+
+
+def split(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host), path
+
+
+RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def rule(host, path):
+    fitting = []
+    for r in RULES:
+        name, start = r.split("/", 1)
+        if (host == name or host.endswith("." + name)) and path.startswith("/" + start):
+            fitting.append(r)
+    return max(fitting, key=len, default=None)
+
+
+def test_query(spark, sf_dir):
+    pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = queries.op7_url_filter(spark, sf_dir).collect()
+    assert {r["page_id"] for r in rows} == set(pages)
+    for r in rows:
+        assert (r["host"], r["path"]) == split(pages[r["page_id"]])
+        assert r["rule"] == rule(r["host"], r["path"])
+        assert r["verdict"] == RULES[r["rule"]] if r["rule"] else r["verdict"] in ("allow", "block")
+
+
+AWKWARD = [None, "", "no scheme", "://", "HTTP://EXAMPLE.Com/en/7x?q#f", "http://a.com/en/#x", "http://b.com?x=/en/", "x://notexample.com/en/7", "http://h://i/en/", "http://com/en/", "http://xcom/en/", "http://é.net/de/8", "http://example.net/de/8\n/de/", "http://" + "a" * 5000 + ".org/es/" + "b" * 5000]
+
+
+def test_awkward(spark):
+    df = spark.createDataFrame([(i, u, "other", "other", "other", "other") for i, u in enumerate(AWKWARD)] + [(None, None, None, None, None, None)], "page_id bigint, url string, label string, probability string, prediction string, host string")
+    rows = urls.judge(df).collect()
+    assert len(rows) == len(AWKWARD) + 1 and all((r["host"], r["path"]) == split(r["url"]) and r["rule"] == rule(r["host"], r["path"]) for r in rows)
+    assert rows[0]["prediction"] == "other"
+    assert urls.judge(df.where("page_id < 0")).count() == 0
+    assert {r["verdict"] for r in urls.judge(df.where("page_id = 1")).collect()} == {"allow"}
+
+
+def test_held_out_accuracy(spark):
+    draw = random.Random(4)
+
+    def url(bad):
+        word = draw.choice(["casino", "pills", "betting"] if bad else ["news", "docs", "library"])
+        return f"{word}{draw.randrange(99)}.example.com", f"/{draw.choice('abc')}/{word}/{draw.randrange(999)}"
+
+    rows = [(*url(i % 2), float(i % 2)) for i in range(600)]
+    labelled = spark.createDataFrame(rows[:400], "host string, path string, label double")
+    pages = spark.createDataFrame([(i, f"http://{h}{p}", y) for i, (h, p, y) in enumerate(rows[400:])], "page_id bigint, url string, truth double")
+    out = urls.judge(pages, labelled, rules=()).collect()
+    assert sum((r["verdict"] == "block") == (r["truth"] == 1) for r in out) >= 195
