@@ -62,7 +62,8 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mea
 
     # 2. the chunks of each document whose hash occurs again: numbers, bounded by the document
     again = chunks.where(F.col("lines") >= min_lines).groupBy("h", "lines").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    again = again.select(F.col("h").alias("__h"), F.col("lines").alias("__l"))
+    # (written, so that the join has plain shuffles on both sides, of which Spark splits what a hot chunk makes large)
+    again = stage(again.select(F.col("h").alias("__h"), F.col("lines").alias("__l")), "repeated-hashes")
     suspect = chunks.join(again, (F.col("h") == F.col("__h")) & (F.col("lines") == F.col("__l")), "left")
     known = suspect.groupBy(*key).agg((F.max("no") + 1).alias("__chunks"), F.collect_set(F.when(F.col("__h").isNotNull(), F.col("no"))).alias("__nos"))
     marked = stage(_join_docs(keyed, known, key, "left"), "marked")
@@ -75,7 +76,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mea
     theirs = _exploded(cut_up, bytes_of, "__c", *key, "__nos", "__lines").where("__c is not null")
     theirs = theirs.select(F.struct(*key, F.col("__c.no").alias("no")).alias("__at"), F.col("__c.t").alias("__t"), F.xxhash64("__c.t").alias("__h"))
     first = theirs.groupBy("__h", "__t").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
-    gone = theirs.join(first, ["__h", "__t"]).where("not (__at <=> __first)")
+    gone = theirs.join(stage(first, "first-chunks"), ["__h", "__t"]).where("not (__at <=> __first)")
     gone = gone.groupBy("__at.__id", "__at.__h1", "__at.__h2").agg(F.collect_set("__at.no").alias("__gone"))
 
     # 4. what is left of the documents
