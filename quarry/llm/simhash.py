@@ -29,7 +29,7 @@ from quarry.staging import stage
 
 BITS = 3
 SHINGLE = 3
-#: Fingerprints that the trees are built from, at most; those of least hash.
+#: Fingerprints that the trees are built from, about (twice as many at most): those of least hash.
 SAMPLE = 65_536
 #: Fingerprints meant for a leaf, and those compared at a time in one that has more.
 LEAF, BLOCK = 1_000, 16_384
@@ -160,7 +160,9 @@ def links(distinct: DataFrame, bits: int = BITS, sample: int = SAMPLE, leaf: int
     """Links (a, b) between the distinct fingerprints (column ``fp``) that connect all pairs within ``bits``."""
     spark = distinct.sparkSession
     n = distinct.count()
-    drawn = distinct.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(dtype=np.int64)
+    # about ``sample`` of them by their hash: what reaches the driver doesn't grow with the partitions
+    below = int(2**64 * min(1.0, sample / max(1, n))) - 2**63 - 1
+    drawn = np.sort(distinct.where(F.xxhash64("fp") <= F.lit(below)).limit(2 * sample).toPandas()["fp"].to_numpy(dtype=np.int64))
     leaves = max(1, n // leaf)
     trees = [build_tree(_half(drawn, half), leaves) for half in (0, 1)]
 
@@ -192,5 +194,6 @@ def near_duplicates(printed: DataFrame, fp: str = "__fp", doc_id: str = "doc_id"
     least = members.join(by_fp, members["node"] == by_fp["fp"]).groupBy("component").agg(F.min("least").alias("__least"))
     named = members.join(least, "component").select("node", "__least")
     classes = by_fp.join(named, by_fp["fp"] == named["node"], "left").select(F.col("fp").alias("__node"), F.coalesce("__least", "least").alias("component_id"))
+    classes = stage(classes, "fp-classes")  # so that the join below has plain shuffles, which Spark splits for a hot fingerprint
     kept = [F.col(f"`{c}`") for c in printed.columns if c != "component_id"]
     return printed.select(*kept).join(classes, F.col(f"`{fp}`") == F.col("__node"), "left").select(*kept, "component_id")
