@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 TOP = 300
 UNKNOWN = "und"
 #: Texts whose n-grams are counted at a time.
-SLICE = 500
+SLICE = 250
 _GAP = 32  # stands for everything that is not a letter
 
 _letters: np.ndarray | None = None

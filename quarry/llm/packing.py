@@ -25,7 +25,9 @@ from quarry.staging import stage
 
 SIZE = 2048
 #: Words whose ids a Python worker keeps; a full memo is emptied, so its memory is bounded.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 250_000
+#: Texts that are tokenised at a time.
+SLICE = 1000
 #: Ranks within a length are dealt by this many hash buckets, so that no length is numbered by one task.
 RANK_BUCKETS = 256
 
@@ -152,8 +154,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
     def cut(batches):
         tokenizer = _tokenizer(tokenizer_path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 ids, counts = tokenizer.texts(part.column(1))
                 ends = np.cumsum(counts)
                 full = np.insert(ids, ends, end_id).astype("<u4")  # the closing id behind each text
