@@ -50,17 +50,29 @@ def long_hash(x: int, seed: int) -> int:
     return xxhash.xxh64_intdigest((x & (1 << 64) - 1).to_bytes(8, "little"), seed)
 
 
-def line_chunks(text: str | None, mean_lines: int = 3) -> list[list[str]]:
+def line_chunks(text: str | None) -> list[list[str]]:
     lines = (text or "").split("\n")
-    hashes = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in lines]
-    out, held = [], []
-    for i, line in enumerate(lines):
-        held.append(line)
-        rolled = signed(long_hash(hashes[i - 1] if i else 0, long_hash(hashes[i], 42)))
-        if rolled % mean_lines == 0:
-            out.append(held)
-            held = []
-    return out + [held] if held else out
+    h = [signed(xxhash.xxh64_intdigest(x.encode(), 42)) for x in lines]
+    out, begin = [], 0
+    for i in range(len(lines)):
+        if i == len(lines) - 1 or 1 <= i < len(lines) - 2 and h[i] > h[i - 1] and h[i] > h[i + 1]:
+            while i + 1 - begin >= 4:
+                out.append(lines[begin : begin + 2])
+                begin += 2
+            out.append(lines[begin : i + 1])
+            begin = i + 1
+    return out
+
+
+def repeated_lines(docs: list[tuple], n: int) -> dict:
+    """{id: [whether the line lies in a run of n lines that a document before has]} of documents (id, text) in their order."""
+    seen, out = set(), {}
+    for i, text in docs:
+        lines = (text or "").split("\n")
+        runs = [tuple(lines[p : p + n]) for p in range(len(lines) - n + 1)]
+        out[i] = [any(runs[p] in seen for p in range(max(0, k - n + 1), min(k + 1, len(runs)))) for k in range(len(lines))]
+        seen.update(runs)
+    return out
 
 
 def dedup_lines(docs: list[tuple]) -> dict:
