@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 #: Rank of a pair that does not merge.
 NO_MERGE = np.iinfo(np.int32).max
-#: Pre-tokens longer than this take the heap form of the same rule: their rounds would be too many.
-LONG = 256
-#: Pre-tokens merged at a time: their arrays stay in the processor's cache.
-BLOCK = 4096
+#: Pre-tokens and characters merged at a time: their arrays stay in the processor's cache, but for a longer pre-token.
+BLOCK, BLOCK_CHARS = 4096, 65_536
 
 
 class MergeTable:
@@ -94,13 +90,15 @@ class MergeTable:
         """Tokens of each pre-token: surviving pieces, and for a character outside the vocabulary its UTF-8 bytes."""
         out = np.zeros(len(pretokens), dtype=np.int64)
         lens = np.fromiter(map(len, pretokens), dtype=np.int64, count=len(pretokens))
-        for i in np.flatnonzero(lens > LONG):
-            out[i] = self._count_long(pretokens[i])
-        short = np.flatnonzero((lens > 0) & (lens <= LONG))
-        short = short[np.argsort(lens[short], kind="stable")]  # those of a length end in about the same round
-        for k in range(0, len(short), BLOCK):
-            some = short[k : k + BLOCK]
-            out[some] = self._count_short([pretokens[i] for i in some], lens[some])
+        some = np.flatnonzero(lens > 0)
+        some = some[np.argsort(lens[some], kind="stable")]  # those of a length end in about the same round
+        upto = np.cumsum(lens[some])
+        at = 0
+        while at < len(some):
+            end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK_CHARS, side="right"))
+            end = min(max(end, at + 1), at + BLOCK)
+            out[some[at:end]] = self._merged([pretokens[i] for i in some[at:end]], lens[some[at:end]])
+            at = end
         return out
 
     def _encode(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +110,13 @@ class MergeTable:
         width = 1 + (distinct >= 0x80) + (distinct >= 0x800) + (distinct >= 0x10000)
         return symbols[inverse], np.where(known, 1, width)[inverse]
 
-    def _count_short(self, pretokens: list[str], lens: np.ndarray) -> np.ndarray:
+    def _merged(self, pretokens: list[str], lens: np.ndarray) -> np.ndarray:
+        """Surviving symbols of each pre-token.
+
+        Each round applies the lowest-rank pair of every sequence, at all its places at once that don't overlap.
+        The rule is one place after another, the leftmost first, but that a better pair made on the way goes
+        first; so where a merge makes a pair that is as good or better, the places behind it wait for the next round.
+        """
         out = np.zeros(len(pretokens), dtype=np.int64)
         sym, worth = self._encode("".join(pretokens))
         seq = np.repeat(np.arange(len(pretokens)), lens)
@@ -120,7 +124,8 @@ class MergeTable:
         rank, into = np.append(rank, np.int32(NO_MERGE)), np.append(into, np.int32(-1))
         rank[np.cumsum(lens) - 1] = NO_MERGE
         while len(sym):
-            starts = np.flatnonzero(np.append(True, seq[1:] != seq[:-1]))
+            first = np.append(True, seq[1:] != seq[:-1])
+            starts = np.flatnonzero(first)
             best = np.minimum.reduceat(rank, starts)
             sizes = np.diff(np.append(starts, len(sym)))
             live = best < NO_MERGE
@@ -128,56 +133,42 @@ class MergeTable:
                 done = ~np.repeat(live, sizes)
                 out += np.bincount(seq[done], weights=worth[done], minlength=len(out)).astype(np.int64)
                 keep = ~done
-                sym, worth, seq, rank, into = sym[keep], worth[keep], seq[keep], rank[keep], into[keep]
+                sym, worth, seq, rank, into, first = sym[keep], worth[keep], seq[keep], rank[keep], into[keep], first[keep]
                 best, sizes = best[live], sizes[live]
                 if not len(sym):
                     break
-            hits = np.flatnonzero(rank == np.repeat(best, sizes))
-            at = hits[np.append(True, seq[hits[1:]] != seq[hits[:-1]])]  # the leftmost of each sequence
-            sym[at] = into[at]
-            worth[at] = 1
-            last = np.zeros(len(sym), dtype=bool)
-            ends = np.append(np.flatnonzero(seq[1:] != seq[:-1]), len(seq) - 1)
-            last[ends] = True
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
+            last = np.append(first[1:], True)
+            # places of a run overlap: every second one of it, from its first
+            run = np.append(True, np.diff(at) != 1)
+            turn = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[turn % 2 == 0]
+            new, low = into[at], rank[at]
+            # what each merge makes: a pair with the symbol behind it, and one with that before it, itself merged or not
             gone = at + 1
-            # pairs (new, next) and (previous, new); positions are those before the removal
-            tail = last[gone]
-            after = np.minimum(gone + 1, len(sym) - 1)
-            rank[at], into[at] = self.pairs(sym[at], sym[after])
-            rank[at[tail]] = NO_MERGE
-            has_prev = (at > 0) & (seq[np.maximum(at - 1, 0)] == seq[at])
-            prev = at[has_prev] - 1
-            rank[prev], into[prev] = self.pairs(sym[prev], sym[prev + 1])
+            behind = ~last[gone]
+            right, right_into = self.pairs(new, sym[np.minimum(gone + 1, len(sym) - 1)])
+            right[~behind] = NO_MERGE
+            before = ~first[at]
+            joined = before & np.append(False, (at[1:] - at[:-1] == 2))  # the symbol before it is a merge of this round
+            previous = np.where(joined, np.append(np.int32(-1), new[:-1]), sym[np.maximum(at - 1, 0)])
+            left, left_into = self.pairs(previous, new)
+            left[~before] = NO_MERGE
+            wait = (right <= low) | (left <= low)
+            if wait.any():  # in each sequence those behind the first such merge
+                mine = seq[at]
+                begins = np.append(True, mine[1:] != mine[:-1])
+                seen = np.cumsum(wait) - wait
+                go = seen == np.repeat(seen[begins], np.diff(np.append(np.flatnonzero(begins), len(at))))
+                at, new, gone, behind, before, joined = at[go], new[go], gone[go], behind[go], before[go], joined[go]
+                right, right_into, left, left_into = right[go], right_into[go], left[go], left_into[go]
+            sym[at], worth[at] = new, 1
+            rank[at], into[at] = right, right_into
+            merges_next = np.append(joined[1:], False)  # its right neighbour is merged, too: the pair is that one's left
+            rank[at[merges_next]], into[at[merges_next]] = left[1:][joined[1:]], left_into[1:][joined[1:]]
+            alone = before & ~joined
+            rank[at[alone] - 1], into[at[alone] - 1] = left[alone], left_into[alone]
             keep = np.ones(len(sym), dtype=bool)
             keep[gone] = False
             sym, worth, seq, rank, into = sym[keep], worth[keep], seq[keep], rank[keep], into[keep]
         return out
-
-    def _count_long(self, text: str) -> int:
-        """The same rule, lowest rank then leftmost, by a heap over a linked list."""
-        symbols, worths = self._encode(text)
-        n = len(symbols)
-        rank, into = self.pairs(symbols[:-1], symbols[1:])
-        heap = [(int(rank[i]), i, int(symbols[i]), int(symbols[i + 1]), int(into[i])) for i in np.flatnonzero(rank < NO_MERGE)]
-        heapq.heapify(heap)
-        sym, worth = symbols.tolist(), worths.tolist()
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-
-        def push(i: int, j: int) -> None:
-            if i >= 0 and j < n:
-                rank, into = self.pairs(np.array([sym[i]]), np.array([sym[j]]))
-                if rank[0] < NO_MERGE:
-                    heapq.heappush(heap, (int(rank[0]), i, sym[i], sym[j], int(into[0])))
-
-        while heap:
-            _, i, a, b, c = heapq.heappop(heap)
-            j = nxt[i]
-            if worth[i] == 0 or j >= n or sym[i] != a or sym[j] != b:
-                continue
-            sym[i], worth[i], worth[j] = c, 1, 0
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            push(prv[i], i)
-            push(i, nxt[i])
-        return sum(worth)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import public_tokenizers
 import pyarrow as pa
@@ -37,3 +38,15 @@ def test_random_texts(library):
     texts = ["".join(draw.choices(alphabet, k=draw.randrange(60))) for _ in range(1500)] + ["a" * 3000, " " * 500, "ab" * 2000 + "\n" * 300]
     counted = tokens.PieceCounter(MODEL).texts(pa.array(texts))
     assert counted.tolist() == [library(t) for t in texts]
+
+
+def test_long_runs_without_a_space(library):
+    """Runs of any length are merged in the same arrays: equal to the library, and in a bounded time."""
+    draw = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(draw.choices(some, k=k)) for some in (letters, "ACGT", "ab", "aA", "01", "=-", "theing", "漢字仮名éß") for k in (255, 257, 3000)]
+    texts += ["ab" * 50_000, "x" * 100_001, "".join(draw.choices(letters, k=100_000)), "abcabd" * 3000, "inging" * 999 + "x" + "hethe" * 999]
+    began = time.perf_counter()
+    counted = tokens.PieceCounter(MODEL).texts(pa.array(texts)).tolist()
+    assert time.perf_counter() - began < 60
+    assert counted == [library(t) for t in texts]
