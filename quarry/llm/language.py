@@ -117,7 +117,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def predict(texts: pa.Array) -> pa.Array:
-        found = [model.predict(t) for t in texts.to_pylist()]
+        found = [model.predict(t) for at in range(0, len(texts), SLICE) for t in texts.slice(at, SLICE).to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())], names=["lang_pred", "score"])
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]

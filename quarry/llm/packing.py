@@ -28,8 +28,8 @@ SIZE = 2048
 MEMO_ENTRIES = 250_000
 #: Texts that are tokenised at a time.
 SLICE = 1000
-#: Ranks within a length are dealt by this many hash buckets, so that no length is numbered by one task.
-RANK_BUCKETS = 256
+#: Pieces of one length that are numbered by one task, about: a length has as many buckets as that takes.
+RANK_ROWS = 100_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint"
 
@@ -227,16 +227,17 @@ def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int,
 def pack(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     """``pieces`` (any columns, with a bigint ``length`` from 1 to ``size``) with sequence_id, offset, filled and padded_length.
 
-    ``pieces`` should be staged: it is read three times.  The histogram and the pattern table have at
+    ``pieces`` should be staged: it is read twice.  The histogram and the pattern table have at
     most ``size`` and about 63 * 2 * ``size`` rows (a pack holds at most 63 different lengths of 2048),
     whatever the input, so they may pass through the driver and be broadcast.
     """
     spark = pieces.sparkSession
-    key = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns]), F.lit(RANK_BUCKETS)).cast("int")
-    keyed = pieces.withColumn("__bucket", key)
-    cells = keyed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    cells = stage(cells, "pack-cells")  # at most size * RANK_BUCKETS rows
-    histogram = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("__n").alias("n")).collect()}
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = spark.createDataFrame([(length, -(-n // RANK_ROWS)) for length, n in histogram.items()], "length bigint, __buckets bigint")
+    # written with their buckets, as equal rows are told apart by where they were read
+    key = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pieces.columns], F.monotonically_increasing_id()), F.col("__buckets")).cast("int")
+    keyed = stage(pieces.join(F.broadcast(dealt), "length").select(*[F.col(f"`{c}`") for c in pieces.columns], key.alias("__bucket")), "pack-keyed")
+    cells = stage(keyed.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("__n")), "pack-cells")
     patterns = pack_histogram(histogram, size)
     filled, first = [], 0
     for count, pattern in patterns:

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm import packing, queries
@@ -56,22 +57,34 @@ def test_query(spark, sf_dir, documents, library):
 
 
 def test_awkward(awkward, no_docs, library):
-    from pyspark.sql import functions as F
-
     def packed(df):
         pieces = packing.token_pieces(df, PATH).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
         return packing.pack(stage(pieces, "pieces")).collect()
 
     texts = {r["doc_id"]: r["text"] for r in awkward.collect() if r["doc_id"] not in (None, 1, 9)}
     rows = packed(awkward)
-    check_packed([r for r in rows if r["doc_id"] in texts], {}, 9e9) if False else None
-    for doc, text in texts.items():
-        assert sum(r["length"] for r in rows if r["doc_id"] == doc) == len(library(text))
+    for doc, text in texts.items():  # pieces follow each other, hold all ids, and each as the library gives it
+        ids, at = library(text), 0
+        for r in sorted((r for r in rows if r["doc_id"] == doc), key=lambda r: r["start"]):
+            part = np.array(ids[at : at + r["length"]], dtype="<u4")
+            assert (r["start"], r["doc_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(part.tobytes()))
+            at += r["length"]
+        assert at == len(ids)
     assert sum(r["length"] for r in rows) == sum(len(library(r["text"])) for r in awkward.collect())
     check_sequences(rows, 9.0)
     assert packed(no_docs) == []
 
 
+def test_lengths_of_many_equal_pieces(spark, monkeypatch):
+    """Equal rows are dealt to several buckets, and every piece has a place of its own."""
+    monkeypatch.setattr(packing, "RANK_ROWS", 50)
+    pieces = spark.range(400).selectExpr("cast(null as bigint) as doc_id", "cast(0 as bigint) as start", "if(id < 300, 1, 2048) as length").withColumn("length", F.col("length").cast("bigint"))
+    rows = packing.pack(stage(pieces, "pieces")).collect()
+    places = {(r["sequence_id"], r["offset"]) for r in rows}
+    assert len(rows) == len(places) == 400 and max(r["offset"] for r in rows) < 2048
+    assert len({r["sequence_id"] for r in rows}) == 101
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_histogram_is_used_up(seed):
     rng = np.random.default_rng(seed)

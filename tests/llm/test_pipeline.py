@@ -1,8 +1,8 @@
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from quarry.llm import language
 from tests.llm import brute
 from tests.llm.test_packing import check_sequences
 from tests.llm.test_simhash import by_fingerprint
@@ -77,8 +77,16 @@ def test_awkward(spark, awkward, no_docs, sf_dir):
     assert [r["doc_id"] for r in near].count(1) == 1 and 2 not in {r["doc_id"] for r in near}
 
 
-def test_clean_documents_stay(spark, documents, sf_dir):
-    kept = cp.identify_language(spark, documents.select(*cp.COLUMNS), sf_dir)
-    lettered = documents.where(documents["text"].rlike(r"\p{L}"))
-    assert kept.count() == lettered.count()
-    assert language.UNKNOWN == "und"
+def test_language_rejects_and_labels(spark, documents, sf_dir):
+    """Clean documents stay, and what the profiles say of others decides."""
+    docs = documents.select(*cp.COLUMNS)
+    odd = [(-1, "\u041f\u0440\u0438\u0432\u0435\u0442 \u043c\u0438\u0440, \u044d\u0442\u043e \u0440\u0443\u0441\u0441\u043a\u0438\u0439 \u0442\u0435\u043a\u0441\u0442"), (-2, "123 !!"), (-3, None)]
+    french = [(-10 - i, r["text"]) for i, r in enumerate(documents.where("lang = 'fr'").limit(20).collect())]
+    rows = spark.createDataFrame([(i, t, None, "s", 1) for i, t in odd + french], docs.schema)
+    kept = {r["doc_id"]: r for r in cp.identify_language(spark, docs.union(rows), sf_dir).collect()}
+    assert {r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()} <= set(kept)
+    assert not {-1, -2, -3} & set(kept)
+    assert sum(kept[i]["lang"] == "fr" for i, _ in french) >= 19
+    assert all(kept[r["doc_id"]]["lang"] == r["lang"] for r in docs.collect() if r["doc_id"] in kept)
+    unlabelled = cp.identify_language(spark, docs.withColumn("lang", F.lit(None).cast("string")).union(rows), sf_dir)
+    assert -1 in {r["doc_id"] for r in unlabelled.collect()} and not {-2, -3} & {r["doc_id"] for r in unlabelled.collect()}
