@@ -120,6 +120,7 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text"
         found = [model.predict(t) for at in range(0, len(texts), SLICE) for t in texts.slice(at, SLICE).to_pylist()]
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], type=pa.string()), pa.array([f[1] for f in found], type=pa.float64())], names=["lang_pred", "score"])
 
+    predict = predict.asNondeterministic()  # it is not: but a filter on what it gives must not evaluate it again
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     guessed = docs.select(*kept, predict(F.col(f"`{text}`").cast("string")).alias("__p"))
     return guessed.select(*kept, F.col("__p.lang_pred").alias("lang_pred"), F.col("__p.score").alias("score"))

@@ -25,7 +25,7 @@ from quarry.staging import stage
 
 SIZE = 2048
 #: Words whose ids a Python worker keeps; a full memo is emptied, so its memory is bounded.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 #: Texts that are tokenised at a time.
 SLICE = 1000
 #: Pieces of one length that are numbered by one task, about: a length has as many buckets as that takes.
@@ -152,7 +152,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id:
     """Pieces of at most ``size`` ids of every whole text: doc_id, start, length, ids (little-endian unsigned 32 bits), doc_tokens."""
 
     def cut(batches):
-        tokenizer = _tokenizer(tokenizer_path)
+        try:
+            yield from pieces(batches, _tokenizer(tokenizer_path))
+        finally:  # a worker lives on: the next task in it, of whatever operator, finds the memory free
+            _tokenizers.clear()
+            pa.default_memory_pool().release_unused()
+
+    def pieces(batches, tokenizer):
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
